@@ -11,6 +11,12 @@ def p7_ids(spark, sf_dir):
     return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p7_ids": p7_ids}
+def p8_found(spark, sf_dir):
+    from spanloom.llm.contain import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found}
 
 SQL: dict[str, str] = {}

@@ -1,0 +1,54 @@
+"""p8_found: passages of reference items in documents."""
+
+import random
+
+import __spark_entry__
+from spanloom.llm.contain import RUN, Patterns, held, without_stock, words
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+
+
+def test_scan_finds_every_run():
+    r = random.Random(3)
+    items = [[str(r.randrange(6)) for _ in range(12)] for _ in range(3)]
+    p = Patterns(items)
+    text = [str(r.randrange(7)) for _ in range(3000)]
+    at, _ = p.scan(p.numbers(text))
+    runs = {tuple(i[k : k + RUN]) for i in items for k in range(len(i) - RUN + 1)}
+    assert at.tolist() == [k for k in range(len(text) - RUN + 1) if tuple(text[k : k + RUN]) in runs]
+    assert len(at)
+
+
+def test_two_fifths_in_order_and_one_place():
+    item, other = prose(1, 50), prose(2, 200)
+    p = Patterns([item])
+    part = item[10:30]
+    cases = {
+        "whole": other[:80] + item + other[80:],
+        "two fifths": other[:80] + part + other[80:],
+        "less": other[:80] + part[:-1] + other[80:],
+        "single words changed": other[:80] + [w if k % 8 else "zz" for k, w in enumerate(item)] + other[80:],
+        "other order": [w for k in range(25, -1, -5) for w in item[k : k + 4]],
+        "scattered": [w for k in range(0, 50, 5) for w in item[k : k + 4] + other[k * 3 : k * 3 + 15]],
+    }
+    found = {d for d, _ in held(p, [" ".join(t) for t in cases.values()])}
+    assert [n for k, n in enumerate(cases) if k in found] == ["whole", "two fifths", "single words changed"]
+
+
+def test_case_marks_and_spacing_do_not_matter():
+    item = prose(1, 40)
+    p = Patterns([item, words("每个字符都单独算作一个词并且按顺序比较")])
+    texts = [None, "", "> " + "\n> ".join(w.upper() + "," for w in item), "“每个字符，都单独算作一个词，并且”"]
+    assert sorted(held(p, texts)) == [(2, 0), (3, 1)]
+
+
+def test_stock_instruction_does_not_count():
+    texts = [f"Read it and answer. {' '.join(prose(k, 9))}." for k in range(4)]
+    assert all("Read" not in t for t in without_stock(texts))
+
+
+def test_query_is_registered():
+    assert "p8_found" in __spark_entry__.queries()
