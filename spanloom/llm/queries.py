@@ -11,12 +11,19 @@ def p7_ids(spark, sf_dir):
     return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_windows(spark, sf_dir):
+    """The ids with their offsets and the text of each run of 128 ids, found through the offsets."""
+    from spanloom.llm.tokenize import decode_windows, encode_column
+
+    return decode_windows(encode_column(table(spark, sf_dir, "documents"), "doc_id", "text", offsets=True), "doc_id", 128)
+
+
 def p8_found(spark, sf_dir):
     from spanloom.llm.contain import contained_items
 
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found}
+QUERIES = {"p7_ids": p7_ids, "p7_windows": p7_windows, "p8_found": p8_found}
 
 SQL: dict[str, str] = {}

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spanloom.llm.common import spread
+from spanloom.llm.common import SLICE_CHARS, spread
 
 OTHER, LETTER, NUMBER, BLANK, SPACE, APOSTROPHE, END = range(7)
 
@@ -228,12 +228,16 @@ def tokenizer_dir() -> str:
     return os.path.dirname(spec.origin) if spec and spec.origin else "/opt/tokenizers"
 
 
+def default_ranks() -> str:
+    return os.path.join(tokenizer_dir(), "byte_bpe_50k.tiktoken")
+
+
 def encode_column(
     df: DataFrame, key: str, text: str, rank_file: str | None = None, offsets: bool = False, batch_chars: int = 2_000_000
 ) -> DataFrame:
     """(key, ids) for each row of df; with offsets also piece_ends, the code-point end of each pre-token, and
-    piece_ids, how many ids each of them gave, from which a decoder finds the text of any id range."""
-    rank_file = rank_file or os.path.join(tokenizer_dir(), "byte_bpe_50k.tiktoken")
+    piece_ids, how many ids each of them gave, from which decode_range() finds the text of any id range."""
+    rank_file = rank_file or default_ranks()
     source = spread(df.select(key, text))
     kind = dict(source.dtypes)[key]
     schema = f"`{key}` {kind}, ids array<int>" + (", piece_ends array<int>, piece_ids array<int>" if offsets else "")
@@ -260,9 +264,99 @@ def encode_column(
     return source.mapInArrow(run, schema)
 
 
-def decode(ids: list[int], rank_file: str) -> str:
-    """The text of a list of ids."""
+def bytes_of(rank_file: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids in one array, and where those of each id begin (and the last end)."""
     enc = encoder(rank_file)
     if not hasattr(enc, "bytes_of"):
-        enc.bytes_of = {i: b for b, i in enc.ranks.items()}
-    return b"".join(enc.bytes_of[i] for i in ids).decode("utf-8", "replace")
+        known = {i: b for b, i in enc.ranks.items()}
+        each = [known.get(i, b"") for i in range(max(known) + 1)]
+        enc.bytes_of = np.frombuffer(b"".join(each), np.uint8), np.cumsum([0, *map(len, each)])
+    return enc.bytes_of
+
+
+def id_bytes(ids: np.ndarray, rank_file: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a run of ids, and where those of each begin (and the last end)."""
+    blob, starts = bytes_of(rank_file)
+    size = starts[ids + 1] - starts[ids]
+    at = np.append(0, np.cumsum(size))
+    return blob[np.repeat(starts[ids] - at[:-1], size) + np.arange(at[-1])], at
+
+
+def decode(ids: list[int], rank_file: str) -> str:
+    """The text of a whole text's ids; for a part of them, which may cut a character, there is decode_range()."""
+    return id_bytes(np.array(ids, np.int64), rank_file)[0].tobytes().decode("utf-8", "replace")
+
+
+def decode_range(
+    ids: list[int], piece_ends: np.ndarray, piece_ids: np.ndarray, first: int, last: int, rank_file: str
+) -> tuple[int, int, str]:
+    """Where ids[first:last] stand in the text, as code points, and the text there: every character of which they hold
+    a byte, so that one that the range cuts is given whole. Only the pre-tokens that the range touches are decoded."""
+    if not 0 <= first <= last <= len(ids):
+        raise ValueError(f"no range of {len(ids)} ids: {first} to {last}")
+    if first == last == len(ids):
+        end = int(piece_ends[-1]) if len(piece_ends) else 0
+        return end, end, ""
+    id_ends = np.cumsum(piece_ids)
+    a = int(np.searchsorted(id_ends, first, side="right"))
+    b = int(np.searchsorted(id_ends, max(last, first + 1), side="left"))
+    low = int(id_ends[a - 1]) if a else 0
+    own = np.array(ids[low : int(id_ends[b])], np.int64)
+    starts = np.append(0, piece_ends)[a : b + 1]
+    start, end, text = decode_ranges(own, starts, id_ends[a : b + 1] - low, np.array([first - low]), np.array([last - low]), rank_file)
+    return int(start[0]), int(end[0]), text[0].decode("utf-8")
+
+
+def decode_ranges(
+    ids: np.ndarray, piece_starts: np.ndarray, id_ends: np.ndarray, first: np.ndarray, last: np.ndarray, rank_file: str
+) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """decode_range() of many ranges over the ids of one or more texts. piece_starts: the code point at which each
+    pre-token begins in its own text; id_ends: where its ids end among all of ids. No range begins at the end of ids."""
+    data, at = id_bytes(ids, rank_file)
+    lead = (data & 0xC0) != 0x80
+    char = np.cumsum(lead)  # of each byte, its character, counted from 1
+    begins = np.append(np.flatnonzero(lead), len(data))
+    piece = np.searchsorted(id_ends, first, side="right")
+    origin = char[at[np.where(piece > 0, id_ends[piece - 1], 0)]]
+    a, b = char[at[first]], char[at[np.maximum(last, 1)] - 1]
+    cut = ~lead[at[first]] & (first == last)  # an empty range inside a character stands after it
+    a = a + cut
+    b = np.where(first == last, a - 1, b)
+    start = piece_starts[piece] + a - origin
+    raw = data.tobytes()
+    return start, start + b - a + 1, [raw[x:y] for x, y in zip(begins[a - 1].tolist(), begins[b].tolist())]
+
+
+def decode_windows(df: DataFrame, key: str, size: int, rank_file: str | None = None) -> DataFrame:
+    """The rows of encode_column(offsets=True) with windows, the consecutive runs of size ids (the last may be shorter),
+    each with its id range, its code-point range and its text. A character cut between two windows stands in both."""
+    rank_file = rank_file or default_ranks()
+    names = [key, "ids", "piece_ends", "piece_ids"]
+    window = "struct<first: int, last: int, location_start: int, location_end: int, text: string>"
+    schema = f"`{key}` {dict(df.dtypes)[key]}, ids array<int>, piece_ends array<int>, piece_ids array<int>, windows array<{window}>"
+
+    def windows(part: pa.RecordBatch) -> pa.ListArray:
+        ids, ends, counts = (part.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3))
+        n_ids, n_pieces = (part.column(k).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
+        starts = np.append(0, ends[:-1])[: len(ends)]
+        starts[(np.cumsum(n_pieces) - n_pieces)[n_pieces > 0]] = 0
+        many = -(-n_ids // size)
+        own = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * size
+        stop = np.minimum(own + size, np.repeat(n_ids, many))
+        base = np.repeat(np.cumsum(n_ids) - n_ids, many)
+        if len(own):
+            a, b, text = decode_ranges(ids, starts, np.cumsum(counts), base + own, base + stop, rank_file)
+        else:
+            a, b, text = own, own, []
+        columns = [*(pa.array(x.astype(np.int32)) for x in (own, stop, a, b)), pa.array(text, pa.binary()).cast(pa.string())]
+        rows = pa.StructArray.from_arrays(columns, names=["first", "last", "location_start", "location_end", "text"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), rows)
+
+    def run(batches):
+        for batch in batches:
+            step = max(1, int(batch.num_rows * SLICE_CHARS / max(SLICE_CHARS, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                yield pa.RecordBatch.from_arrays([*part.columns, windows(part)], names=[*names, "windows"])
+
+    return df.select(*names).mapInArrow(run, schema)
