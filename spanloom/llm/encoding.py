@@ -459,3 +459,44 @@ def mended(model: Model, keys: list, texts: list[str | None]):
         if states.any():
             fixed, whole = repaired(t, at, states, model.names)
             yield k, sorted({" read as ".join(model.names[s]) for s in set(states.tolist()) - {0}}), whole, fixed
+
+
+#: Stand-ins of the script in which a text was written, where its bytes are lost.
+FILLER = {"gb18030": "的", "cp932": "の", "euc-jp": "の", "cp1251": "о", "koi8-r": "о", "cp866": "о"}
+
+
+def as_written(text: str, at: np.ndarray, states: np.ndarray, names: list) -> str:
+    """repaired(), but stretches that can't be restored are inverted as far as possible: lost characters become fillers
+    of the script that was written, so that length, words and language stay near those of the lost text."""
+    parts, last = [], 0
+    for a, b, s in stretches(text, at, states):
+        true, read = names[s]
+        piece = text[a:b]
+        if (good := restore(piece, true, read)) is None:
+            if true == "utf-8 twice":
+                good = piece
+            elif read == "utf-8":
+                good = filled(piece, true)
+            else:
+                table = char_table(read) if read not in MULTI else {}
+                data = piece.encode(read, "ignore") if read in MULTI else bytes(table[c] for c in piece if c in table)
+                good = data.decode(true, "ignore")
+        parts += [text[last:a], good]
+        last = b
+    return "".join(parts) + text[last:]
+
+
+def filled(piece: str, true: str) -> str:
+    """A stretch read as UTF-8 with replacement: each run of lost bytes becomes as many fillers as it had characters."""
+    filler = FILLER.get(true)
+    if filler is None:
+        return piece
+    wide = 2 if true in ("gb18030", "cp932", "euc-jp") else 1
+    out, run = [], 0
+    for c in piece + "\0":
+        if ord(c) >= 128:
+            run += 1 if c == "�" else len(c.encode("utf-8", "surrogatepass"))
+        else:
+            out += [filler * max(run // wide, run > 0), c]
+            run = 0
+    return "".join(out)[:-1]
