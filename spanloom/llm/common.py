@@ -2,51 +2,55 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch are worked on in slices of this many characters, so that a worker's memory stays bounded.
-SLICE_CHARS = 4_000_000
+#: Rows of an Arrow batch are worked on in slices of about this many bytes, so that a worker's memory stays bounded.
+SLICE_BYTES = 4_000_000
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartitions inputs that come in fewer partitions than the session has cores; these are small by construction."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+@lru_cache(maxsize=1)
+def own_folder() -> str:
+    """A folder for sessions on one machine, removed when the process ends."""
+    path = tempfile.mkdtemp(prefix="spanloom-")
+    atexit.register(shutil.rmtree, path, True)
+    return f"file://{path}"
 
 
-def durable(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts the lineage through the folder in spark.checkpoint.dir, which all executors share; without that setting
-    (tests on one machine) a folder below the warehouse is set."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(where or os.path.join("/tmp", "spanloom-checkpoints"))
-    return df.checkpoint(eager)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all executors share: spark.checkpoint.dir. Only a session whose tasks all
+    run in the driver's own process sets one of its own; on a cluster without the setting nothing would survive the loss
+    of an executor, hence the error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not re.fullmatch(r"local(\[[\d*,]+\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = own_folder()
+    return where.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows as parquet into the shared checkpoint folder and reads them back: like durable(), in a
-    compressed columnar form of which later reads take only the columns they need."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    path = f"{(where or 'file:///tmp/spanloom-checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Cuts the lineage: the rows as a compressed columnar table in the shared folder, of which later reads take only
+    the columns they need. Its size is known to the planner, so that small ones are broadcast and large ones aren't."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[tuple]], schema: str) -> DataFrame:
-    """Applies fn to column lists of a bounded number of characters; fn yields output tuples in schema order."""
-    from pyspark.sql.types import _parse_datatype_string
+    """Applies fn to column lists of a bounded number of bytes; fn yields output tuples in schema order."""
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
     out = to_arrow_schema(_parse_datatype_string(schema))
     names = df.columns
@@ -55,7 +59,7 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[tuple]], sc
         for batch in batches:
             if not batch.num_rows:
                 continue
-            step = max(1, int(batch.num_rows * min(1.0, SLICE_CHARS / max(1, batch.nbytes))))
+            step = max(1, int(batch.num_rows * min(1.0, SLICE_BYTES / max(1, batch.nbytes))))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 rows = list(fn({n: part.column(i).to_pylist() for i, n in enumerate(names)}))
@@ -65,20 +69,18 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[tuple]], sc
     return df.mapInArrow(run, schema)
 
 
-def hash64(text: str) -> int:
-    """A stable signed 64-bit hash; the same in each process."""
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-
-
 class Hashes(dict):
-    """word -> stable 63-bit hash, kept per worker process; cleared when it grows too large."""
+    """word -> stable 64-bit hash, kept per worker process; cleared when it grows too large."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 2_000_000:
             self.clear()
-        value = self[word] = hash64(word) & 0x7FFF_FFFF_FFFF_FFFF
+        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
 
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
 
 def mix(values: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64) over an array of unsigned integers."""
@@ -103,12 +105,3 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def files_with_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """code_files reduced to fileId, content and (piiId, value, notes) of the records."""
-    return table(spark, sf_dir, "code_files").select(
-        "fileId",
-        "content",
-        F.expr("transform(piiRecords, p -> named_struct('piiId', p.piiId, 'value', p.value, 'notes', p.notes))").alias("records"),
-    )

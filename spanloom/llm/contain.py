@@ -19,7 +19,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import DataFrame
 
-from spanloom.llm.common import map_rows, mix, spread
+from spanloom.llm.common import map_rows, mix
 
 RUN, BLOCK = 4, 2
 #: An opening sentence of so many items is an instruction.
@@ -182,4 +182,4 @@ def contained_items(documents: DataFrame, items: DataFrame, key: str = "doc_id",
             yield columns[key][d], ids[i]
 
     kinds = dict(documents.dtypes)[key], dict(items.dtypes)[item]
-    return map_rows(spread(documents.select(key, text)), pairs, f"`{key}` {kinds[0]}, `{item}` {kinds[1]}").distinct()
+    return map_rows(documents.select(key, text), pairs, f"`{key}` {kinds[0]}, `{item}` {kinds[1]}").distinct()

@@ -21,7 +21,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import durable, map_rows
+from spanloom.llm.common import map_rows, written
 from spanloom.llm.encoding import Model, as_written, training_lines
 
 #: Words (characters for Chinese and Japanese) of running prose that make a language of a file.
@@ -178,7 +178,7 @@ def prose_spans(files: DataFrame, model: Model | None = None) -> DataFrame:
 
 def labelled_spans(files: DataFrame, model: Model | None = None) -> DataFrame:
     """(fileId, lang, words, bytes, size) of the prose spans of each file; spans of no language are left out."""
-    found = durable(prose_spans(files, model))
+    found = written(prose_spans(files, model), "spans")
 
     def labels(columns):
         for h, n, span in zip(columns["h"], columns["files"], columns["span"]):
@@ -187,7 +187,7 @@ def labelled_spans(files: DataFrame, model: Model | None = None) -> DataFrame:
                 yield h, n, language, words
 
     distinct = found.groupBy("h").agg(F.count("*").alias("files"), F.min("span").alias("span"))
-    label = durable(map_rows(distinct, labels, "h binary, files long, lang string, words int"))
+    label = written(map_rows(distinct, labels, "h binary, files long, lang string, words int"), "labels")
     uses = found.select("fileId", "h", "n", "size", "bytes").dropDuplicates(["fileId", "h"])
     hot, rest = label.filter(F.col("files") > HOT).select("h", "lang", "words"), label.filter(F.col("files") <= HOT).select("h", "lang", "words")
     # hot spans leave the uses before these are shuffled by hash

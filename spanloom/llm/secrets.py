@@ -27,7 +27,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import durable, map_rows
+from spanloom.llm.common import map_rows, written
 
 #: A literal that so many owners share is a placeholder.
 SHARED = 12
@@ -240,7 +240,7 @@ def shards(literals: DataFrame, chars: int = SHARD_CHARS):
 def secret_spans(files: DataFrame) -> DataFrame:
     """(fileId, field, piiId, location_start, location_end) of each credential."""
     spark = files.sparkSession
-    literals = durable(confirmed_literals(files))
+    literals = written(confirmed_literals(files), "literals")
     schema = "fileId long, field string, piiId int, location_start int, location_end int"
     source = files.select("fileId", "content", F.expr(RECORDS).alias("records"))
     passes = []

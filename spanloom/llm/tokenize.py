@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spanloom.llm.common import SLICE_CHARS, spread
+from spanloom.llm.common import SLICE_BYTES
 
 OTHER, LETTER, NUMBER, BLANK, SPACE, APOSTROPHE, END = range(7)
 
@@ -238,7 +238,7 @@ def encode_column(
     """(key, ids) for each row of df; with offsets also piece_ends, the code-point end of each pre-token, and
     piece_ids, how many ids each of them gave, from which decode_range() finds the text of any id range."""
     rank_file = rank_file or default_ranks()
-    source = spread(df.select(key, text))
+    source = df.select(key, text)
     kind = dict(source.dtypes)[key]
     schema = f"`{key}` {kind}, ids array<int>" + (", piece_ends array<int>, piece_ids array<int>" if offsets else "")
 
@@ -354,7 +354,7 @@ def decode_windows(df: DataFrame, key: str, size: int, rank_file: str | None = N
 
     def run(batches):
         for batch in batches:
-            step = max(1, int(batch.num_rows * SLICE_CHARS / max(SLICE_CHARS, batch.nbytes)))
+            step = max(1, int(batch.num_rows * SLICE_BYTES / max(SLICE_BYTES, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 yield pa.RecordBatch.from_arrays([*part.columns, windows(part)], names=[*names, "windows"])
