@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
-from functools import lru_cache
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -245,10 +245,10 @@ def secret_spans(files: DataFrame) -> DataFrame:
     source = files.select("fileId", "content", F.expr(RECORDS).alias("records"))
     passes = []
     for part in shards(literals):
-        shared = spark.sparkContext.broadcast(part)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, part))
 
         def rows(columns, shared=shared):
-            scanner = scanner_of(shared)
+            scanner = scanner_of(*shared.value)
             for k, content, records in zip(columns["fileId"], columns["content"], columns["records"]):
                 for field, pii, text in strings(content, records):
                     for a, b in longest(scanner.spans(text)):
@@ -273,12 +273,12 @@ def across_shards(found: DataFrame) -> DataFrame:
     return kept.select(*key, "x.location_start", "x.location_end")
 
 
-_SCANNERS: dict[int, Scanner] = {}
+_SCANNERS: dict[str, Scanner] = {}
 
 
-def scanner_of(shared) -> Scanner:
-    """The automaton of a broadcast list, built once per worker process."""
-    if shared.id not in _SCANNERS:
+def scanner_of(name: str, literals: list[str]) -> Scanner:
+    """The automaton of a shard, built once per worker process."""
+    if name not in _SCANNERS:
         _SCANNERS.clear()
-        _SCANNERS[shared.id] = Scanner(shared.value)
-    return _SCANNERS[shared.id]
+        _SCANNERS[name] = Scanner(literals)
+    return _SCANNERS[name]
