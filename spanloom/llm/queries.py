@@ -73,6 +73,25 @@ def p5_shares(spark, sf_dir):
     return file_languages(table(spark, sf_dir, "code_files"))
 
 
+def p6_found(spark, sf_dir):
+    """Personal information in contents, record values and notes."""
+    from spanloom.llm.personal import personal_spans
+
+    return personal_spans(table(spark, sf_dir, "code_files"))
+
+
+def p6_redacted(spark, sf_dir):
+    """The strings that hold personal information, with the type of each in its place."""
+    from pyspark.sql import functions as F
+
+    from spanloom.llm.personal import personal_spans
+    from spanloom.llm.redact import redacted_strings
+
+    files = table(spark, sf_dir, "code_files")
+    spans = personal_spans(files).withColumn("word", F.concat(F.lit("<"), F.upper("piiType"), F.lit(">")))
+    return redacted_strings(files, spans, "word")
+
+
 def p7_ids(spark, sf_dir):
     from spanloom.llm.tokenize import encode_column
 
@@ -106,6 +125,6 @@ def p9_rates(spark, sf_dir):
     return truncation_rates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_report, p3_found, p3_redacted, p4_found, p5_found, p5_shares, p7_ids, p7_windows, p8_found, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_report, p3_found, p3_redacted, p4_found, p5_found, p5_shares, p6_found, p6_redacted, p7_ids, p7_windows, p8_found, p9_found, p9_rates)}
 
 SQL: dict[str, str] = {}
