@@ -108,36 +108,69 @@ def telling(literal: str) -> bool:
     return kinds >= 2 and variety(literal) >= 2.3
 
 
+#: Parts of which each match of the patterns above holds at least one, in lower case: only their lines are looked at.
+NAME_PARTS = ["pass", "pwd", "kennwort", "contrase", "senha", "secret", "token", "bearer", "credential", "key", "mot", "_id", ".id", "-id", "cloudid", "clientid", "accountid"]
+SCHEME_PARTS = ["bearer", "basic", "token", "digest"]
+REMARK_PARTS = ["rotate", "revoke", "remove", "delete", "drop", "valid", "pw", "pass", "kennwort", "token", "login", "secret", "cred", "key"]
+PROVIDER_PARTS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "k_live_", "k_test_", "xox", "AIza", "ya29.", "SG.", "npm_", "LTAI", "eyJ"]
+
+
+def lines_with(lower: str, text: str, parts: list[str]) -> list[str]:
+    """The lines of a text that hold one of the parts, in order."""
+    starts = set()
+    for part in parts:
+        at = lower.find(part)
+        while at >= 0:
+            starts.add(lower.rfind("\n", 0, at) + 1)
+            at = lower.find("\n", at)
+            if at >= 0:
+                at = lower.find(part, at)
+    out = []
+    for a in sorted(starts):
+        b = lower.find("\n", a)
+        out.append(text[a : b if b >= 0 else len(text)])
+    return out
+
+
 def candidates(text: str, remarks: bool = False):
     """(literal, whether its own format confirms it) of a text."""
-    for m in PRIVATE_KEY.finditer(text):
-        if len(re.sub(r"\\n|\s", "", m[0])) >= 150:
-            yield m[0], True
-    for m in PROVIDER.finditer(text):
-        if not placeholder(m[0]):
-            yield m[0], True
-    if "://" in text:
-        for m in URL_PASSWORD.finditer(text):
+    if "PRIVATE KEY" in text:
+        for m in PRIVATE_KEY.finditer(text):
+            if len(re.sub(r"\\n|\s", "", m[0])) >= 150:
+                yield m[0], True
+    if any(part in text for part in PROVIDER_PARTS):
+        for m in PROVIDER.finditer(text):
+            if not placeholder(m[0]):
+                yield m[0], True
+    lower = text.lower()
+    if len(lower) != len(text):
+        lower = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    for line in lines_with(lower, text, ["://"]):
+        for m in URL_PASSWORD.finditer(line):
             if telling(m[1]):
                 yield m[1], False
-    for m in SCHEME.finditer(text):
-        if telling(m[1]):
-            yield m[1].rstrip("."), False
-    for m in ASSIGNED.finditer(text):
-        literal = m["dq"] or m["sq"] or m["raw"]
-        if not any(c.isdigit() or not c.isalnum() for c in literal) or " " in literal:
-            continue
-        if m["raw"] is not None and not raw_value(text, m):
-            continue
-        if telling(literal):
-            yield literal, False
-    for m in TAGGED.finditer(text):
-        if telling(literal := m["raw"] or m["raw2"]):
-            yield literal, False
-    for m in REMARK.finditer(text):
-        literal = m[1].strip("\"'`")
-        if telling(literal) and (remarks or COMMENT.match(text[max(text.rfind("\n", 0, m.start()), 0) : m.end()].strip())):
-            yield literal, False
+    for line in lines_with(lower, text, SCHEME_PARTS):
+        for m in SCHEME.finditer(line):
+            if telling(m[1]):
+                yield m[1].rstrip("."), False
+    for line in lines_with(lower, text, NAME_PARTS):
+        for m in ASSIGNED.finditer(line):
+            literal = m["dq"] or m["sq"] or m["raw"]
+            if not any(c.isdigit() or not c.isalnum() for c in literal) or " " in literal:
+                continue
+            if m["raw"] is not None and not raw_value(line, m):
+                continue
+            if telling(literal):
+                yield literal, False
+        if "<" in line:
+            for m in TAGGED.finditer(line):
+                if telling(literal := m["raw"] or m["raw2"]):
+                    yield literal, False
+    for line in lines_with(lower, text, REMARK_PARTS):
+        for m in REMARK.finditer(line):
+            literal = m[1].strip("\"'`")
+            if telling(literal) and (remarks or COMMENT.match(line[: m.end()].strip())):
+                yield literal, False
 
 
 def raw_value(text: str, m: re.Match) -> bool:
