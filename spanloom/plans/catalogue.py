@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from spanloom.operators import dynamics
-from spanloom.plans import cleaning, detectors
+from spanloom.plans import cleaning, detectors, training
 from spanloom.sources.parquet import table
 
 
@@ -32,6 +32,6 @@ SQL: dict[str, str] = {
             AND s.type IS NOT DISTINCT FROM h.type AND s.expected_words IS NOT DISTINCT FROM h.expected_text
     """
 }
-for _module in (detectors, cleaning):
+for _module in (detectors, cleaning, training):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
