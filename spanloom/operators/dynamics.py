@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.ranking import ranked
+from spanloom.functions.text import rank_key
+
 SPAN = ["example_id", "type", "expected_words"]
 
 #: The means are the same in any order of summation down to this many decimals.
@@ -46,3 +49,52 @@ def with_hits(dynamics: DataFrame, hits: DataFrame) -> DataFrame:
     for mine, other in zip(SPAN, ("example_id", "type", "expected_text")):
         same = same & F.col(f"d.{mine}").eqNullSafe(F.col(f"h.{other}"))
     return d.join(h, same, "left").select("d.*", F.coalesce("h.attack_hit", F.lit(False)).alias("attack_hit"))
+
+
+#: Edges of the histogram as repeated addition of a tenth gives them; a value at an edge lies above it.
+EDGES = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]
+
+
+def without_predictions(samples: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Samples (id) that have no prediction; a caller that needs all of them checks that there are none."""
+    return samples.select("id").distinct().join(predictions.select(F.col("example_id").alias("id")).distinct(), "id", "left_anti")
+
+
+def by_type(dynamics: DataFrame) -> DataFrame:
+    """Spans and mean confidence and variability of each type."""
+    return dynamics.groupBy("type").agg(F.count("confidence").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.round(F.avg("variability"), 6).alias("mean_variability"))
+
+
+def histogram(dynamics: DataFrame, column: str, divisor: int = 1200) -> DataFrame:
+    """Spans of each type in each tenth of [0, 1], the last one closed, with their share of `divisor`."""
+    x = F.col(column)
+    bin_ = F.lit(None).cast("int")
+    for i in range(10):
+        inside = (x >= F.lit(EDGES[i])) & ((x < F.lit(EDGES[i + 1])) if i < 9 else (x <= F.lit(EDGES[10])))
+        bin_ = F.when(inside, i).otherwise(bin_)
+    counted = dynamics.withColumn("bin", bin_).filter("bin is not null").groupBy("type", "bin").agg(F.count("*").alias("n"))
+    return counted.withColumn("rate", F.round(F.col("n") / divisor, 2))
+
+
+def downsample(dynamics: DataFrame, key: list[str], share: float = 0.1, cells: int = 30, seed: int = 42) -> DataFrame:
+    """Of each cell of a grid over (variability, confidence) a share of the spans, at least one, by the hash of the key."""
+    known = dynamics.filter("variability is not null and confidence is not null")
+    edges = known.agg(*[f(c).alias(f"{n}_{c}") for c in ("variability", "confidence") for n, f in (("low", F.min), ("high", F.max))])
+    marked = known.crossJoin(F.broadcast(edges))  # one row
+
+    def cell(c: str):
+        wide = F.col(f"high_{c}") - F.col(f"low_{c}")
+        return F.when(wide > 0, F.least(F.floor((F.col(c) - F.col(f"low_{c}")) / wide * cells), F.lit(cells - 1))).otherwise(0).cast("int")
+
+    placed = marked.withColumns({"x": cell("variability"), "y": cell("confidence"), "order": rank_key(*[F.col(k) for k in key], seed=seed)})
+    ranks = ranked(placed, ["x", "y"], "order", "nth")
+    sizes = placed.groupBy("x", "y").agg(F.count("*").alias("size"))
+    keep = F.greatest(F.floor(F.col("size") * share), F.lit(1))
+    return ranks.join(sizes, ["x", "y"]).filter(F.col("nth") <= keep).select(*dynamics.columns, "x", "y")
+
+
+def loss_curve(states: DataFrame, key: list[str], state: str) -> DataFrame:
+    """The entries of trainer states (JSON) that have a loss and an epoch."""
+    schema = "struct<log_history: array<struct<epoch: double, grad_norm: double, learning_rate: double, loss: double, step: bigint>>>"
+    entries = states.select(*key, F.explode(F.from_json(state, schema)["log_history"]).alias("e"))
+    return entries.filter("e.loss is not null and e.epoch is not null").select(*key, "e.epoch", "e.step", "e.loss")

@@ -2,36 +2,10 @@
 
 from __future__ import annotations
 
-from spanloom.operators import dynamics
-from spanloom.plans import cleaning, detectors, training
-from spanloom.sources.parquet import table
+from spanloom.plans import analysis, cleaning, detectors, training
 
-
-def confidence_variability(spark, sf_dir):
-    spans = dynamics.confidence_variability(table(spark, sf_dir, "dynamic_predictions"))
-    return dynamics.with_hits(spans, dynamics.own_hits(table(spark, sf_dir, "attack_predictions")))
-
-
-QUERIES: dict = {"confidence_variability": confidence_variability}
-
-SQL: dict[str, str] = {
-    "confidence_variability": """
-        WITH means AS (
-            SELECT example_id, type, expected_words, list_avg(pred_token_probs) AS mean
-            FROM (SELECT DISTINCT * FROM dynamic_predictions)
-        ), spans AS (
-            SELECT example_id, type, expected_words, count(mean) AS n_predictions,
-                round(avg(mean), 9) AS confidence, round(stddev_pop(mean), 9) AS variability
-            FROM means GROUP BY ALL
-        ), hits AS (
-            SELECT example_id, type, expected_text, bool_or(coalesce(contains(generated_text, expected_text), false)) AS hit
-            FROM attack_predictions GROUP BY ALL
-        )
-        SELECT s.*, coalesce(h.hit, false) AS attack_hit
-        FROM spans s LEFT JOIN hits h ON s.example_id IS NOT DISTINCT FROM h.example_id
-            AND s.type IS NOT DISTINCT FROM h.type AND s.expected_words IS NOT DISTINCT FROM h.expected_text
-    """
-}
-for _module in (detectors, cleaning, training):
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+for _module in (analysis, detectors, cleaning, training):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
