@@ -2,49 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch are worked on in slices of about this many bytes, so that a worker's memory stays bounded.
-SLICE_BYTES = 4_000_000
+from spanloom.sources.durable import written
 
+__all__ = ["Hashes", "grams", "map_rows", "mix", "table", "written"]
 
-@lru_cache(maxsize=1)
-def own_folder() -> str:
-    """A folder for sessions on one machine, removed when the process ends."""
-    path = tempfile.mkdtemp(prefix="spanloom-")
-    atexit.register(shutil.rmtree, path, True)
-    return f"file://{path}"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables that all executors share: spark.checkpoint.dir. Only a session whose tasks all
-    run in the driver's own process sets one of its own; on a cluster without the setting nothing would survive the loss
-    of an executor, hence the error."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not re.fullmatch(r"local(\[[\d*,]+\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = own_folder()
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: the rows as a compressed columnar table in the shared folder, of which later reads take only
-    the columns they need. Its size is known to the planner, so that small ones are broadcast and large ones aren't."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of an Arrow batch are worked on in slices of about this many bytes, so that a worker's memory stays bounded.
+SLICE_BYTES = 4_000_000
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[tuple]], schema: str) -> DataFrame:
