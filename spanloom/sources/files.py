@@ -29,20 +29,22 @@ def read_blobs(spark: SparkSession, path: str, n: int | None = None) -> DataFram
     for the caller to drop; the first n by name, if n is given."""
     import gzip
 
-    import pandas as pd
+    import pyarrow as pa
 
-    @F.pandas_udf("string")
-    def text(raw: pd.Series) -> pd.Series:
-        def one(data: bytes) -> str | None:
-            try:
-                return (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode("utf-8")
-            except (OSError, EOFError, UnicodeDecodeError):
-                return None
+    def text(data: bytes) -> str | None:
+        try:
+            return (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode("utf-8")
+        except (OSError, EOFError, UnicodeDecodeError):
+            return None
 
-        return raw.map(one)
+    def run(batches):
+        for batch in batches:
+            contents = pa.array(map(text, batch.column(1).to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), contents, batch.column(2)], names=["blobId", "content", "lengthBytes"])
 
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    rows = found.select(F.regexp_extract("path", r"([^/]+?)(?:\.gz)?$", 1).alias("blobId"), text("content").alias("content"), F.col("length").alias("lengthBytes"))
+    named = found.select(F.regexp_extract("path", r"([^/]+?)(?:\.gz)?$", 1).alias("blobId"), F.col("content"), F.col("length").alias("lengthBytes"))
+    rows = named.mapInArrow(run, "blobId string, content string, lengthBytes long")
     return rows if n is None else rows.orderBy("blobId").limit(n)
 
 
