@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import ArithmeticException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,15 +100,15 @@ def stratified_effect(rows: DataFrame, covariates: list[str] = COVARIATES, strat
     own = propensity(rows, covariates).withColumn("stratum", F.least(F.floor(F.col("score") * strata), F.lit(strata - 1)))
     mean = lambda v: F.avg(F.when(F.col("treated") == v, F.col("outcome")))
     cells = own.groupBy("stratum").agg(F.count("*").alias("n"), (mean(1) - mean(0)).alias("d")).filter("d is not null")
-    return cells.agg(F.round(F.sum(F.col("n") * F.col("d")) / F.sum("n"), 6)).first()[0]
+    return cells.agg(F.round(F.try_divide(F.sum(F.col("n") * F.col("d")), F.sum("n")), 6)).first()[0]
 
 
 def weighted_effect(rows: DataFrame, covariates: list[str] = COVARIATES) -> float | None:
     """The difference of means weighted by the inverse probability of the arm."""
-    t, s = F.col("treated"), F.col("score")
+    t, s = F.col("treated"), F.least(F.greatest("score", F.lit(1e-6)), F.lit(1 - 1e-6))
     one, two = t / s, (1 - t) / (1 - s)
     own = propensity(rows, covariates)
-    return own.agg(F.round(F.sum(one * F.col("outcome")) / F.sum(one) - F.sum(two * F.col("outcome")) / F.sum(two), 6)).first()[0]
+    return own.agg(F.round(F.try_divide(F.sum(one * F.col("outcome")), F.sum(one)) - F.try_divide(F.sum(two * F.col("outcome")), F.sum(two)), 6)).first()[0]
 
 
 def placebo(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -149,9 +150,7 @@ def effects(rows: DataFrame, key: str, covariates: list[str] = COVARIATES) -> li
     for name, make in made.items():
         try:
             out.append((name, make()))
-        except ArithmeticError:
-            out.append((name, None))
-        except ValueError:  # a singular model
+        except (ArithmeticError, ArithmeticException, ValueError):  # a singular model or an empty arm
             out.append((name, None))
     return out
 
