@@ -188,8 +188,8 @@ def spans_of(text: str, known: dict[str, set[str]], labels: dict[str, str]):
             if m["at"].strip() == "at" and not re.search(r"\W", m["domain"]):
                 continue
             plain = m["at"].strip() != "at"
-            # " at " also stands in prose: there a person's name must speak for an address
-            if not plain and not person_in(local, known) and not PLACES["email"][0].search(text[max(0, m.start() - 80) : m.start()].rsplit("\n", 1)[-1]):
+            # " at " also stands in prose: without a spelled-out dot a person's name must speak for an address
+            if not plain and "dot" not in m["domain"].split() and not person_in(local, known) and not PLACES["email"][0].search(text[max(0, m.start() - 80) : m.start()].rsplit("\n", 1)[-1]):
                 continue
             bad = local.casefold() in ROLES or bool(FILE_ENDING.search(domain)) or text[m.end() : m.end() + 1] in (":", "/") and m["at"] == "@" and bool(re.match(r":\w", text[m.end() : m.end() + 2]))
             taken.append(m.span())
