@@ -37,7 +37,7 @@ def naive_effect(rows: DataFrame, cells: list[str]) -> DataFrame:
     return rows.groupBy(*cells).agg(F.count("*").alias("n"), F.round(mean(1) - mean(0), 6).alias("effect"))
 
 
-def propensity(rows: DataFrame, covariates: list[str] = COVARIATES, rounds: int = 25) -> DataFrame:
+def propensity(rows: DataFrame, covariates: list[str] = COVARIATES, rounds: int = 12) -> DataFrame:
     """`score`, the probability of treatment, by a logistic model over standardised covariates. Newton steps: each is one
     aggregate of as many sums as the covariates have pairs, whatever the number of rows."""
     import numpy as np
@@ -64,7 +64,7 @@ def propensity(rows: DataFrame, covariates: list[str] = COVARIATES, rounds: int
         hessian = np.array([[got[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) + 1e-6 * np.eye(k)
         step = np.linalg.solve(hessian, gradient)
         w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() < 1e-6:
             break
     return rows.withColumn("score", F.round(score(w), 12))
 
