@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import judge, sampling, sequences
+from spanloom.operators import backends, judge, sampling, sequences
 from spanloom.plans.sql import draw, lit
 from spanloom.sources.parquet import table
 
@@ -138,8 +138,16 @@ def pad_batches(spark, sf_dir):
     return padded.select("id", "batch", F.size("input_ids").alias("n"), masked.alias("n_masked"), ignored.alias("n_ignored"))
 
 
+def simulated_predictions(spark, sf_dir):
+    """The model backend over the tokens of each span's value."""
+    ids = _spans(spark, sf_dir).withColumn("expected", sequences.hash_tokens(F.col("value")))
+    made = backends.simulate(ids, PROMPT_KEY, "expected")
+    right = F.size(F.filter(F.zip_with("expected", "predicted_ids", lambda a, b: a == b), lambda x: x))
+    return made.select(*PROMPT_KEY, F.size("expected").alias("n"), right.alias("n_right"), F.round(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x), 5).alias("sum_probs"))
+
+
 QUERIES = {f.__name__: f for f in (
-    context_windows, prompt_cache_keys, cache_lookup, parse_judge_json, refine_fold, judge_counters, prefiltered_spans, stratified_split, one_per_file, ratio_split,
+    simulated_predictions, context_windows, prompt_cache_keys, cache_lookup, parse_judge_json, refine_fold, judge_counters, prefiltered_spans, stratified_split, one_per_file, ratio_split,
     enrich_samples, duplicate_spans, tokenize_files, fim_transform, fim_older_order, span_parts, pad_batches,
 )}
 QUERIES |= {"pack_blocks_batch": _packed(1000), "pack_blocks": _packed(None), "dynamic_prompts": _prompts(None), "attack_prompts": _prompts(50)}
@@ -246,4 +254,7 @@ SQL = {
     "attack_prompts": prompts_sql(50),
     "pad_batches": f"""WITH {TOKENIZED}, n AS (SELECT id, len(ids) AS own, (row_number() OVER (ORDER BY md5(id::VARCHAR || ':42')) - 1) // 32 AS batch FROM tokens)
         SELECT id, batch, max(own) OVER (PARTITION BY batch) AS n, own AS n_masked, max(own) OVER (PARTITION BY batch) - own AS n_ignored FROM n""",
+    "simulated_predictions": f"""WITH {SPANS}, i AS (SELECT *, {FULL_KEY} AS k, coalesce({TOKENS.format(t='"value"')}, []) AS ids FROM spans),
+        p AS (SELECT *, list_transform(range(0, len(ids)), lambda x: ('0x' || substr(md5(k || ':' || x || ':42'), 1, 8))::BIGINT / 4294967296.0) AS probs FROM i)
+        SELECT id, location_start, location_end, piiType, "value", len(ids) AS n, len(list_filter(probs, lambda x: x >= 1 - 0.6)) AS n_right, round(coalesce(list_sum(probs), 0.0), 5) AS sum_probs FROM p""",
 }
