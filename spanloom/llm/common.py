@@ -61,15 +61,16 @@ def mix(values: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def grams(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of n words, as signed 64-bit integers; empty for shorter inputs."""
-    if len(words) < n:
+def grams(words: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
+    """Hash of the words at these offsets from every place at which all of them exist, as signed 64-bit integers."""
+    n = len(words) - offsets[-1]
+    if n <= 0:
         return np.empty(0, np.int64)
     w = words.astype(np.uint64)
-    acc = np.zeros(len(w) - n + 1, np.uint64)
+    acc = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(n):
-            acc = mix(acc * np.uint64(31) + w[i : len(w) - n + 1 + i] + np.uint64(i + 1))
+        for i, at in enumerate(offsets):
+            acc = mix(acc * np.uint64(31) + w[at : at + n] + np.uint64(i + 1))
     return acc.view(np.int64)
 
 
