@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+import uuid
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ SHARE = 0.4
 #: words between two runs count as held.
 GAP, SLIP, SINGLE = 12, 3, 2
 TABLE_BITS = 18
+#: Words of items in one pass, about 100 bytes of tables each.
+SHARD_WORDS = 1_000_000
 LANE = 512
 
 IDEOGRAM = "぀-ヿ㐀-䶿一-鿿"
@@ -44,15 +47,25 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.casefold())
 
 
-def without_stock(texts: list[str]) -> list[str]:
-    """The texts without opening sentences that at least STOCK of them share."""
+def head(text: str, stock: frozenset[str] | set[str]) -> tuple[str, str]:
+    """(opening sentence in words, rest) of a text behind the stock sentences that open it; ("", text) without a sentence."""
+    while m := SENTENCE.match(text):
+        own = " ".join(words(m[0]))
+        if own not in stock:
+            return own, text
+        text = text[m.end() :]
+    return "", text
+
+
+def stock_heads(items: DataFrame, text: str) -> set[str]:
+    """The opening sentences that at least STOCK items share, also behind others of that kind; counted over all items."""
+    known: set[str] = set()
     while True:
-        heads = [m[0] if (m := SENTENCE.match(t)) else "" for t in texts]
-        seen = Counter(" ".join(words(h)) for h in heads)
-        cut = [h if h and seen[" ".join(words(h))] >= STOCK else "" for h in heads]
-        if not any(cut):
-            return texts
-        texts = [t[len(c) :] for t, c in zip(texts, cut)]
+        heads = map_rows(items.select(text), lambda columns, stock=frozenset(known): ((h,) for t in columns[text] if t and (h := head(t, stock)[0])), "head string")
+        new = {r["head"] for r in heads.groupBy("head").count().filter(f"count >= {STOCK}").toLocalIterator()}
+        if not new:
+            return known
+        known |= new
 
 
 class Patterns:
@@ -169,17 +182,46 @@ def held(patterns: Patterns, texts: list[str | None]) -> list[tuple[int, int]]:
     return [divmod(k, n) for k, (i, j) in groups.items() if chain(i, j, SHARE * patterns.sizes[k % n])]
 
 
-def contained_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
-    """(key, item) of each document that holds at least SHARE of an item's words; items is a small table."""
-    rows = [r for r in items.select(item, text).distinct().collect() if r[1]]
-    ids = [r[0] for r in rows]
-    patterns = Patterns([words(t) for t in without_stock([r[1] for r in rows])])
-    shared = documents.sparkSession.sparkContext.broadcast((patterns, ids))
-
-    def pairs(columns):
-        own, ids = shared.value
-        for d, i in held(own, columns[text]):
-            yield columns[key][d], ids[i]
-
-    kinds = dict(documents.dtypes)[key], dict(items.dtypes)[item]
-    return map_rows(documents.select(key, text), pairs, f"`{key}` {kinds[0]}, `{item}` {kinds[1]}").distinct()
+def shards(items: DataFrame, item: str, text: str, stock: set[str], most: int):
+    """Lists of (item, words) of at most `most` words each, without holding more than one list."""
+    part, size = [], 0
+    for row in items.toLocalIterator():
+        own = words(head(row[text], stock)[1])
+        if part and size + len(own) > most:
+            yield part
+            part, size = [], 0
+        part.append((row[item], own))
+        size += len(own)
+    if part:
+        yield part
+
+
+_PATTERNS: dict[str, Patterns] = {}
+
+
+def patterns_of(name: str, items: list[list[str]]) -> Patterns:
+    """The tables of a shard, built once per worker process."""
+    if name not in _PATTERNS:
+        _PATTERNS.clear()
+        _PATTERNS[name] = Patterns(items)
+    return _PATTERNS[name]
+
+
+def contained_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(key, item) of each document that holds at least SHARE of an item's words. Items are broadcast in shards of at most
+    shard_words words; each shard is one pass over the documents."""
+    spark = documents.sparkSession
+    own = items.select(item, text).filter(f"`{text}` <> ''").distinct()
+    stock = stock_heads(own, text)
+    schema = f"`{key}` {dict(documents.dtypes)[key]}, `{item}` {dict(items.dtypes)[item]}"
+    found = spark.createDataFrame([], schema)
+    for part in shards(own, item, text, stock, shard_words):
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [i for i, _ in part], [w for _, w in part]))
+
+        def pairs(columns, shared=shared):
+            name, ids, texts = shared.value
+            for d, i in held(patterns_of(name, texts), columns[text]):
+                yield columns[key][d], ids[i]
+
+        found = found.union(map_rows(documents.select(key, text), pairs, schema))
+    return found.distinct()

@@ -188,9 +188,8 @@ def merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
 class Encoder(dict):
     """piece -> ids, filled on demand; at most max_cached pieces are kept."""
 
-    def __init__(self, rank_file: str, max_cached: int = 1_000_000):
-        with open(rank_file, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, rank_lines: bytes, max_cached: int = 1_000_000):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_lines.splitlines())}
         self.classes = class_table()
         self.max_cached = max_cached
 
@@ -226,12 +225,22 @@ class Encoder(dict):
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(rank_file: str) -> Encoder:
+def encoder(rank_file: str, rank_lines: bytes | None = None) -> Encoder:
+    """The encoder of a vocabulary, one per process; on executors rank_lines holds the file, which lies with the driver."""
     if rank_file not in _ENCODERS:
-        _ENCODERS[rank_file] = Encoder(rank_file)
+        if rank_lines is None:
+            with open(rank_file, "rb") as f:
+                rank_lines = f.read()
+        _ENCODERS[rank_file] = Encoder(rank_lines)
     return _ENCODERS[rank_file]
 
 
+def shipped(spark, rank_file: str):
+    """The vocabulary file as a broadcast: below 2 MB for each public vocabulary, whatever the corpus."""
+    with open(rank_file, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
 def tokenizer_dir() -> str:
     """Where the public vocabularies lie: SPANLOOM_TOKENIZERS, else the installed package, else /opt/tokenizers."""
     if own := os.environ.get("SPANLOOM_TOKENIZERS"):
@@ -257,8 +266,10 @@ def encode_column(
     def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(values.astype(np.int32)))
 
+    ranks = shipped(df.sparkSession, rank_file)
+
     def run(batches):
-        enc = encoder(rank_file)
+        enc = encoder(rank_file, ranks.value)
         for batch in batches:
             step = max(1, int(batch.num_rows * batch_chars / max(batch_chars, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
@@ -364,7 +375,10 @@ def decode_windows(df: DataFrame, key: str, size: int, rank_file: str | None = N
         rows = pa.StructArray.from_arrays(columns, names=["first", "last", "location_start", "location_end", "text"])
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), rows)
 
+    ranks = shipped(df.sparkSession, rank_file)
+
     def run(batches):
+        encoder(rank_file, ranks.value)
         for batch in batches:
             step = max(1, int(batch.num_rows * SLICE_BYTES / max(SLICE_BYTES, batch.nbytes)))
             for at in range(0, batch.num_rows, step):

@@ -3,7 +3,9 @@
 import random
 
 import __spark_entry__
-from spanloom.llm.contain import RUN, Patterns, held, without_stock, words
+import pytest
+
+from spanloom.llm.contain import RUN, Patterns, contained_items, head, held, stock_heads, words
 
 
 def prose(seed, n):
@@ -45,9 +47,21 @@ def test_case_marks_and_spacing_do_not_matter():
     assert sorted(held(p, texts)) == [(2, 0), (3, 1)]
 
 
-def test_stock_instruction_does_not_count():
-    texts = [f"Read it and answer. {' '.join(prose(k, 9))}." for k in range(4)]
-    assert all("Read" not in t for t in without_stock(texts))
+def test_stock_instruction_does_not_count(spark):
+    rows = [(k, f"Read it and answer. Be brief. {' '.join(prose(k, 9))}.") for k in range(4)] + [(9, "Read this. " + " ".join(prose(9, 9))), (10, None), (11, "")]
+    stock = stock_heads(spark.createDataFrame(rows, "item_id int, text string"), "text")
+    assert stock == {"read it and answer", "be brief"}
+    assert all("answer" not in head(t, stock)[1] for _, t in rows[:4]) and head(rows[4][1], stock)[1] == rows[4][1]
+
+
+@pytest.mark.parametrize("shard_words", [1_000_000, 20])
+def test_tables(spark, shard_words):
+    items = [(k, " ".join(prose(k, 15)), "x") for k in range(5)] + [(0, " ".join(prose(0, 15)), "x"), (7, None, None), (8, "", None), (9, "short", None)]
+    docs = [(k, "pre " + " ".join(prose(k, 15)) + " post", "y") for k in range(5)] + [(0, "pre " + " ".join(prose(0, 15)) + " post", "y"), (None, None, None), (20, "", None), (21, "word " * 100_000, None), (None, " ".join(prose(2, 15)), None)]
+    docs, items = spark.createDataFrame(docs, "doc_id int, text string, item_id string"), spark.createDataFrame(items, "item_id int, text string, doc_id string")
+    got = contained_items(docs, items, shard_words=shard_words).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(k, k) for k in range(5)] + [(None, 2)], key=repr)
+    assert contained_items(docs.limit(0), items).count() == 0 and contained_items(docs, items.limit(0)).count() == 0
 
 
 def test_query_is_registered():
