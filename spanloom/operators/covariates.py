@@ -92,8 +92,10 @@ def outcome(rows: DataFrame, model: str) -> DataFrame:
 
 def relative_score(members: DataFrame, others: DataFrame, column: str) -> DataFrame:
     """K7: where a member's value lies between the least and the greatest of members and others together."""
-    both = members.select(column).union(others.select(column)).agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
-    return members.crossJoin(F.broadcast(both)).withColumn(f"relative_{column}", (F.col(column) - F.col("_low")) / (F.col("_high") - F.col("_low") + F.lit(1e-15))).drop("_low", "_high")
+    low, high = members.select(column).union(others.select(column)).agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return members.withColumn(f"relative_{column}", F.lit(None).cast("double"))
+    return members.withColumn(f"relative_{column}", (F.col(column) - F.lit(low)) / (F.lit(high - low) + F.lit(1e-15)))
 
 
 def rule_label(path: Column) -> Column:

@@ -79,14 +79,15 @@ def histogram(dynamics: DataFrame, column: str, divisor: int = 1200) -> DataFram
 def downsample(dynamics: DataFrame, key: list[str], share: float = 0.1, cells: int = 30, seed: int = 42) -> DataFrame:
     """Of each cell of a grid over (variability, confidence) a share of the spans, at least one, by the hash of the key."""
     known = dynamics.filter("variability is not null and confidence is not null")
-    edges = known.agg(*[f(c).alias(f"{n}_{c}") for c in ("variability", "confidence") for n, f in (("low", F.min), ("high", F.max))])
-    marked = known.crossJoin(F.broadcast(edges))  # one row
+    edges = known.agg(*[f(c).alias(f"{n}_{c}") for c in ("variability", "confidence") for n, f in (("low", F.min), ("high", F.max))]).first()
 
     def cell(c: str):
-        wide = F.col(f"high_{c}") - F.col(f"low_{c}")
-        return F.when(wide > 0, F.least(F.floor((F.col(c) - F.col(f"low_{c}")) / wide * cells), F.lit(cells - 1))).otherwise(0).cast("int")
+        low, high = edges[f"low_{c}"], edges[f"high_{c}"]
+        if low is None or high == low:
+            return F.lit(0)
+        return F.least(F.floor((F.col(c) - F.lit(low)) / F.lit(high - low) * cells), F.lit(cells - 1)).cast("int")
 
-    placed = marked.withColumns({"x": cell("variability"), "y": cell("confidence"), "order": rank_key(*[F.col(k) for k in key], seed=seed)})
+    placed = known.withColumns({"x": cell("variability"), "y": cell("confidence"), "order": rank_key(*[F.col(k) for k in key], seed=seed)})
     ranks = ranked(placed, ["x", "y"], "order", "nth")
     sizes = placed.groupBy("x", "y").agg(F.count("*").alias("size"))
     keep = F.greatest(F.floor(F.col("size") * share), F.lit(1))

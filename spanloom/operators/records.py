@@ -110,7 +110,9 @@ def reductions(files: DataFrame) -> DataFrame:
     """The counts before and after each step and the share that cleaning took away, in percent."""
     before = explode_records(files)
     merged = relocate(first_wins(strip_value(before)))
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    counts = one(before, "n_before").crossJoin(one(merged, "n_merged")).crossJoin(one(clean(merged), "n_clean"))  # three rows of one number each
+    names = ("n_before", "n_merged", "n_clean")
+    mark = lambda df, name: df.select(*[F.lit(int(n == name)).cast("long").alias(n) for n in names])
+    steps = mark(before, "n_before").union(mark(merged, "n_merged")).union(mark(clean(merged), "n_clean"))
+    counts = steps.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
     share = F.when(F.col("n_merged") > 0, F.round(100.0 * (F.col("n_merged") - F.col("n_clean")) / F.col("n_merged"), 2)).otherwise(0.0)
     return counts.withColumn("reduction", share)

@@ -116,3 +116,14 @@ def test_classify_by_hand(spark):
     df = spark.createDataFrame([(0.9, 0.0), (0.1, 0.0), (0.5, 0.9), (0.6, 0.3), (0.4, 0.3), (None, None)], "confidence double, variability double")
     got = [r["class"] for r in covariates.classify(df).collect()]
     assert got == ["easy", "hard", "ambiguous", "ambiguous", "ambiguous", None]
+
+
+def test_validators_and_labels(spark):
+    from spanloom.operators.detect import validators
+
+    values = ["+1 310-555-0199", "123-45-6789", "a woman", "12/31/1999", "none"]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select(*[c.alias(n) for n, c in validators(F.col("v")).items()]).collect()
+    assert [r.phone_number for r in got] == [True, False, False, False, False] and [r.ssn for r in got] == [False, True, False, False, False]
+    assert [r.gender for r in got] == [False, False, True, False, False] and [r.date_of_birth for r in got] == [False, False, False, True, False]
+    row = sequences.plain_labels(spark.createDataFrame([(1, [4, 5])], IDS)).first()
+    assert row.labels == [4, 5] and row.attention_mask == [1, 1]
