@@ -2,15 +2,17 @@
 
 Three kinds of evidence over all rows:
 
-1. Prefix self-join. The distinct texts (without a mark put after a cut) are range-partitioned and sorted by value; a text
-   is a strict prefix of a longer one exactly if the next distinct text begins with it. Rows at partition borders are
-   joined with the first row of the next partition. Equal texts are collapsed first, so that a hot text costs one row.
+1. Prefix self-join. All distinct texts (without blanks at the end and without a mark put after a cut) are range-partitioned
+   and sorted by value; a text is a strict prefix of a longer one exactly if the next distinct text begins with it. Rows at
+   partition borders are joined with the first row of the next partition. Equal texts are collapsed first, so that a hot
+   text costs one row.
 2. Field limits. Per source, a length (in code points or in UTF-8 bytes) at which at least LIMIT_ROWS rows and half of all
    rows of that length or more pile up.
 3. The end itself: open (inside a word, a sentence, a statement), finished, or unsure, by the last line of the text.
 
-A text is cut if its end is open; if its end is unsure and (1), (2) or an unknown last word speaks for a cut. A finished
-end is never a case: who ends a sentence at the exact limit has lost nothing that can be seen.
+A text is cut if its end is open; if its end is unsure and (1), (2) or an unknown last word speaks for a cut; if its end
+seems finished, but by (1) the next longer text goes on inside the word or sentence (goes_on). Else a finished end is no
+case: who ends a sentence at the exact limit has lost nothing that can be seen.
 
 Defined results: null, empty and blank texts are no case; neither are texts of fewer than SHORT words; repeated texts give
 one row per document; an empty table gives an empty table; other columns are left out.
@@ -28,11 +30,16 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import map_rows, written
 
 OPEN, UNSURE, DONE = "open", "unsure", "done"
+#: The state of a text of too few words; it counts as a longer copy of others only.
+FEW = "few"
 #: So many rows of a source make a length a limit.
 LIMIT_ROWS = 5
 #: Texts of fewer words, or without a mark of fewer bytes, are short, not cut.
 SHORT, SHORT_CHARS = 5, 40
 
+#: Letters kept on both sides of the place where a longer text goes on.
+AROUND = 40
+
 #: What is put after a cut, or is left of such a mark.
 MARK = re.compile(r"(?:\[truncated\]|\(truncated\)|\[\.\.\.\]|\[…\]|…|\.\.\.|&hel(?:lip;?|li?)?|�)$")
 CJK = "぀-ヿ㐀-䶿一-鿿"
@@ -156,9 +163,18 @@ def end_of(text: str | None) -> str:
     return state
 
 
+def goes_on(tail: str, rest: str) -> bool:
+    """Whether a text that ends with tail, and of which a longer one goes on with rest, ends inside a word or a sentence."""
+    end, following = tail[-1], rest[0]
+    if following.isalnum() or following == "_":
+        return end.isalnum() or end == "_" or end in ".-'’@/" and (following.islower() or following.isdigit())
+    return not FULL_STOP.search(tail) and bool(re.match(r"[ \t]*[,;]", rest) or rest.lstrip(" \t")[:1].islower())
+
+
 def strict_prefixes(texts: DataFrame, parts: int | None = None) -> DataFrame:
-    """(h) of the texts (h, bare) that are strict prefixes of another one; h names equal texts. The range partitions take
-    their number from spark.sql.shuffle.partitions unless parts is given."""
+    """(h, tail, rest) of the texts (h, bare) that are strict prefixes of another one: h names equal texts, tail is their end,
+    rest is what the next longer text goes on with, both to AROUND letters. The range partitions take their number from
+    spark.sql.shuffle.partitions unless parts is given."""
     by_range = texts.repartitionByRange(*([parts] if parts else []), "bare").sortWithinPartitions("bare")
 
     def run(batches):
@@ -170,19 +186,20 @@ def strict_prefixes(texts: DataFrame, parts: int | None = None) -> DataFrame:
                 if first is None:
                     first = bare
                 elif bare.startswith(prev[1]) and len(bare) > len(prev[1]):
-                    out.append((part, prev[0], None, None))
+                    out.append((part, prev[0], None, None, prev[1][-AROUND:], bare[len(prev[1]) :][:AROUND]))
                 prev = (h, bare)
         if prev is not None:
-            out.append((part, prev[0], first, prev[1]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.string(), pa.string()))], names=["part", "h", "first", "last"]
-            )
+            out.append((part, prev[0], first, prev[1], prev[1][-AROUND:], None))
+            types = (pa.int32(), pa.int64(), *[pa.string()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["part", "h", "first", "last", "tail", "rest"])
 
-    rows = by_range.mapInArrow(run, "part int, h long, first string, last string")
-    inside = rows.filter("last is null").select("h")
+    rows = by_range.mapInArrow(run, "part int, h long, first string, last string, tail string, rest string")
+    inside = rows.filter("last is null").select("h", "tail", "rest")
     # one row per partition: as many as the shuffle has partitions, whatever the number of texts
     edge = rows.filter("last is not null").withColumn("next", F.lead("first").over(Window.orderBy("part")))
-    across = edge.filter(F.col("next").startswith(F.col("last")) & (F.length("next") > F.length("last"))).select("h")
+    across = edge.filter(F.col("next").startswith(F.col("last")) & (F.length("next") > F.length("last"))).select(
+        "h", "tail", F.col("next").substr(F.length("last") + 1, F.lit(AROUND)).alias("rest")
+    )
     return inside.union(across)
 
 
@@ -211,24 +228,25 @@ def cut_texts(documents: DataFrame) -> DataFrame:
 
     def states(columns):
         for k, s, t in zip(columns["doc_id"], columns["source"], columns["text"]):
-            if (state := end_of(t)) == OPEN:
-                yield k, s, state, None, None, None, None
-            elif state == UNSURE:
-                bare = without_mark(t).rstrip()
-                yield k, s, state, last_word(bare), len(t), len(t.encode("utf-8", "surrogatepass")), bare
+            if bare := without_mark(t).rstrip():
+                state = end_of(t)
+                word = last_word(bare) if state == UNSURE else None
+                yield k, s, FEW if state == DONE and few_words(bare) else state, word, len(t), len(t.encode("utf-8", "surrogatepass")), bare
 
-    ends = written(map_rows(docs, states, "doc_id long, source string, state string, word string, char int, byte int, bare string"), "ends")
+    schema = "doc_id long, source string, state string, word string, char int, byte int, bare string"
+    ends = written(map_rows(docs, states, schema).withColumn("h", F.xxhash64("bare")), "ends")
     sure = ends.filter(F.col("state") == OPEN).select("doc_id", "source", F.lit("end").alias("evidence"))
-    unsure = ends.filter(F.col("state") == UNSURE).withColumns({"h": F.xxhash64("bare"), "head": F.xxhash64(F.substring("bare", 1, SHORT_CHARS))})
+    unsure = ends.filter(F.col("state") == UNSURE)
 
     at_limit = unsure.select("doc_id", "source", F.explode(F.create_map(F.lit("char"), F.col("char"), F.lit("byte"), F.col("byte"))).alias("unit", "size")).join(
         source_limits(docs), ["source", "unit", "size"], "left_semi"
     )
-    # a longer copy begins as the text does: only such texts are sorted; these are all that can begin with an unsure text
-    heads = written(unsure.select("head").distinct(), "heads")
-    longer = docs.withColumn("head", F.xxhash64(F.substring("text", 1, SHORT_CHARS))).join(heads, "head", "left_semi")
-    texts = longer.select(F.xxhash64("text").alias("h"), F.col("text").alias("bare")).union(unsure.select("h", "bare")).dropDuplicates(["h"])
-    prefixes = unsure.join(strict_prefixes(texts), "h", "left_semi")
+    def on(columns):
+        return ((h, goes_on(tail, rest)) for h, tail, rest in zip(columns["h"], columns["tail"], columns["rest"]))
+
+    longer = map_rows(strict_prefixes(ends.select("h", "bare").distinct()), on, "h long, inside boolean")
+    own = ends.select("doc_id", "source", "state", "h").join(longer, "h")
+    prefixes = own.filter(F.col("state").isin(OPEN, UNSURE) | (F.col("state") == DONE) & F.col("inside"))
     known = map_rows(docs.select("text"), interior_words, "word string, n long").select("word").distinct()
     # one row per distinct last word; a word that a third of the texts ends on is one row here
     strange = unsure.filter("word <> ''").select("word").distinct().join(known, "word", "left_anti")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from spanloom.llm.cut import DONE, OPEN, UNSURE, cut_texts, end_of, source_limits, strict_prefixes, truncation_rates
+from spanloom.llm.cut import DONE, OPEN, UNSURE, cut_texts, end_of, goes_on, source_limits, strict_prefixes, truncation_rates
 
 BODY = "The first reader holds the queue. The second reader waits for it.\n\n"
 DOCS = "doc_id long, source string, text string, lang string"
@@ -82,3 +82,42 @@ def test_long_runs_take_no_time(text):
     began = time.time()
     end_of(text)
     assert time.time() - began < 2
+
+
+def test_all_texts_take_part_in_the_prefix_join(spark):
+    items = "- первый пункт из списка\n- второй"
+    told = BODY + "The reader is told of it in section 3."
+    plain = "The fourth reader takes the last block of the inner queue."
+    rows = [
+        (1, "s", items, "ru"),  # less than 40 letters
+        (2, "s", items + " пункт.", "ru"),
+        (3, "s", told, "en"),  # seems finished
+        (4, "t", told + "2 of the same book.", "en"),
+        (5, "s", BODY + "- item\n- second item \n", "en"),  # no prefix of itself
+        (6, "s", plain, "en"),
+        (7, "s", plain + " It is empty then.", "en"),
+        (8, "s", "See the", "en"),  # few words
+        (9, "s", "See the reader of the inner queue.", "en"),
+        (10, "s", BODY + "- item\n- second item…", "en"),
+        (11, "s", BODY + "The third reader frees the bl", "en"),
+        (12, "s", BODY + "The third reader frees the block.", "en"),
+    ]
+    got = {r.doc_id: r.evidence for r in cut_texts(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: ["prefix"], 3: ["prefix"], 10: ["end"], 11: ["end", "prefix"]}
+
+
+@pytest.mark.parametrize(
+    ("tail", "rest", "want"),
+    [
+        ("the bl", "ock.", True),
+        ("section 3.", "2 of it", True),
+        ("the block.", " The next", False),
+        ("the block.", "\n\nThe next", False),
+        ("归档。", "下次", False),
+        ("归", "档。", True),
+        ("Refs: #4711", " and others", True),
+        ("}", "\n\nint g() {", False),
+    ],
+)
+def test_goes_on(tail, rest, want):
+    assert goes_on(tail, rest) is want
